@@ -8,11 +8,13 @@ composed from the last level back to the first.
 
 Each level removes a constant share of the vertices whatever the shape of the graph (chains, stars, cliques), so levels
 grow with the logarithm of the largest component. All steps are joins and map-side combined minima; edges of vertices
-with a large share of the edges meet a broadcast of those at most HOT_PARTS vertices (operators.skew).
+with a large share of the edges meet a broadcast of those at most HOT_PARTS vertices (operators.skew). A level of at most
+SMALL_EDGES edges is finished by a plain union-find in one task, as its size is bounded whatever the input's.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ from kinloom.session import Scratch, is_empty
 
 BETA = 1.0
 ROUNDS = 3
+SMALL_EDGES = 500_000
 
 
 def _start(v: str, level: int, beta: float, rounds: int):
@@ -48,10 +51,33 @@ def _contract(edges: DataFrame, clusters: DataFrame, hot: list) -> DataFrame:
     return x.where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
 
 
-def decompose(spark: SparkSession, edges: DataFrame, scratch: Scratch, beta: float = BETA, rounds: int = ROUNDS) -> DataFrame | None:
+def _finish(edges: DataFrame) -> DataFrame:
+    """(v, c): the smallest vertex c of the component of v, by union-find in one task."""
+    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
+        parent: dict[int, int] = {}
+
+        def root(v: int) -> int:
+            while parent.setdefault(v, v) != v:
+                parent[v] = parent[parent[v]]
+                v = parent[v]
+            return v
+
+        for a, b in zip(pdf.a.tolist(), pdf.b.tolist()):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+        return pd.DataFrame({"v": list(parent), "c": [root(v) for v in list(parent)]})
+
+    return edges.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(unite, "v bigint, c bigint")
+
+
+def decompose(spark: SparkSession, edges: DataFrame, scratch: Scratch, beta: float = BETA, rounds: int = ROUNDS, small: int = SMALL_EDGES) -> DataFrame | None:
     """(v, c) with one c for each component of ``edges`` (a, b: long ids, each pair once, a < b); None if no edge."""
     level, maps, edges = 0, [], scratch.write(edges)
     while not is_empty(edges):
+        if edges.count() <= small:
+            maps.append(scratch.write(_finish(edges)))
+            scratch.drop(edges)
+            break
         both = edges.select(F.explode(F.array("a", "b")).alias("a"))
         hot = hot_keys(both, "a")
         clusters = scratch.write(_grow(edges, level, beta, rounds, hot))
@@ -71,7 +97,7 @@ def decompose(spark: SparkSession, edges: DataFrame, scratch: Scratch, beta: flo
     return whole
 
 
-def connected_groups(spark: SparkSession, links: DataFrame, left: str, right: str, beta: float = BETA, rounds: int = ROUNDS) -> DataFrame:
+def connected_groups(spark: SparkSession, links: DataFrame, left: str, right: str, beta: float = BETA, rounds: int = ROUNDS, small: int = SMALL_EDGES) -> DataFrame:
     """(record string, group_key string): one row for each distinct record in either column.
 
     group_key is the smallest record, in byte order, of all records linked to this one directly or through others. A
@@ -86,7 +112,7 @@ def connected_groups(spark: SparkSession, links: DataFrame, left: str, right: st
     edges = skew_join(full, names.select(F.col("record").alias("x"), F.col("v").alias("vx")), "x")
     edges = skew_join(edges, names.select(F.col("record").alias("y"), F.col("v").alias("vy")), "y")
     edges = edges.select(F.least("vx", "vy").alias("a"), F.greatest("vx", "vy").alias("b")).distinct()
-    whole = decompose(spark, edges, scratch, beta, rounds)
+    whole = decompose(spark, edges, scratch, beta, rounds, small)
     if whole is None:
         return names.select("record", F.col("record").alias("group_key"))
     member = scratch.write(names.join(whole, "v", "left").select("record", F.coalesce("c", "v").alias("c")))
