@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.functions.names import record_name
+from kinloom.functions.names import predicate_name, record_name
+from kinloom.functions.statements import parse_statements
 from kinloom.llm.components import connected_groups
+from kinloom.llm.frequencies import key_frequencies
+from kinloom.llm.mixing import mix_documents, mix_shares
 from kinloom.llm.splits import grouped_splits
+from kinloom.operators.wide import typed_cells, wide_rows
 from kinloom.session import table
 
+FOUND_TYPES = ["bigint", "date", "boolean", "decimal(3,1)"]
+
 
 def named_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "read_links").select(
@@ -40,8 +46,43 @@ def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("split_name", F.col("share").alias("target"), "n_rows", "n_groups", (F.col("n_rows") / F.col("total")).alias("reached")))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_statements(table(spark, sf_dir, "parse_nq_or_nt"), "line_id", "line").where("reason is not null").select("line_id")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = table(spark, sf_dir, "prop_catalog").where(F.col("col_type").isin(FOUND_TYPES))
+    return typed_cells(table(spark, sf_dir, "attr_triples_1"), catalog).distinct()
+
+
+def p5_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wide_rows(table(spark, sf_dir, "attr_triples_1"), table(spark, sf_dir, "prop_catalog"))
+
+
+def p7_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Total, dump files and mark of every predicate."""
+    rows = table(spark, sf_dir, "write_prop_stats")
+    found = key_frequencies(rows, predicate_name(F.col("predicate")), "predicate", "dump_file", "count", "written_at")
+    return found.withColumnRenamed("key", "predicate")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_stats(spark, sf_dir).where("mark is not null").select("predicate", "mark")
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, share and size each source reached in each mix, beside its target."""
+    return mix_shares(p9_mix(spark, sf_dir), table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p4_found": p4_found, "p4_shares": p4_shares,
+    "p2_found": p2_found, "p5_found": p5_found, "p5_wide": p5_wide,
+    "p7_found": p7_found, "p7_stats": p7_stats, "p9_mix": p9_mix, "p9_shares": p9_shares,
 }
 
 SQL: dict[str, str] = {}
