@@ -110,15 +110,16 @@ def grouped_splits(spark: SparkSession, rows: DataFrame, row_id: str, left: str,
 
     Rows that touch a common record (columns left and right, null = missing) directly or through other rows share a
     group and therefore a split; a row without any record is a group of its own (group_key null). first_id is the
-    smallest row_id of the group. Shares are met as near as whole bins and the largest group allow. row_id is unique.
+    smallest row_id of the group. Shares are met as near as whole bins and the largest group allow. Rows repeated with
+    the same row_id and no record form one group; each row with a null row_id and no record is its own.
     """
     scratch = Scratch(spark, "rowgroups")
     records = connected_groups(spark, rows, left, right)
     named = rows.select(F.col(row_id).alias("id"), F.coalesce(F.col(left), F.col(right)).cast("string").alias("record"))
-    grouped = scratch.write(skew_join(named, records, "record", "left").select("id", "group_key"))
-    alone = grouped.where("group_key is null").select(F.concat(F.lit("\x00"), F.col("id").cast("string")).alias("unit"), F.col("id").alias("first_id"), F.lit(1).alias("w"))
-    units = grouped.where("group_key is not null").groupBy(F.col("group_key").alias("unit")).agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("w")).unionByName(alone)
-    units = scratch.write(units)
+    grouped = skew_join(named, records, "record", "left").select("id", "group_key", F.monotonically_increasing_id().alias("row"))
+    # copies of a row without record stay together by their id; without an id there is nothing to tell them by
+    unit = F.coalesce("group_key", F.concat(F.lit("\x00i"), F.col("id").cast("string")), F.concat(F.lit("\x00r"), F.col("row").cast("string")))
+    keyed = scratch.write(grouped.select("id", "group_key", unit.alias("unit")))
+    units = scratch.write(keyed.groupBy("unit").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("w")))
     placed = assign_groups(spark, units, "unit", "w", targets, bins).join(units.select("unit", "first_id"), "unit")
-    keyed = grouped.withColumn("unit", F.coalesce("group_key", F.concat(F.lit("\x00"), F.col("id").cast("string"))))
     return skew_join(keyed, placed, "unit").select(F.col("id").alias(row_id), "group_key", "first_id", "bin", "split")

@@ -1,0 +1,21 @@
+from collections import Counter
+
+from kinloom.llm.splits import grouped_splits
+
+TARGETS = [("train", .7), ("test", .3)]
+
+
+def test_every_row_comes_out_once_with_nulls_and_repeats(spark):
+    rows = [(1, "a", "x"), (2, "a", None), (3, None, None), (3, None, None), (None, None, None), (None, None, None), (None, "b", None), (4, "a", "y"), (4, "a", "y")]
+    df = spark.createDataFrame(rows, "id bigint, l string, r string")
+    out = grouped_splits(spark, df, "id", "l", "r", TARGETS).collect()
+    assert Counter(r.id for r in out) == Counter(r[0] for r in rows)
+    assert len({r.split for r in out if r.id == 3}) == 1
+    assert {r.first_id for r in out if r.id in (1, 2, 4)} == {1} and len({r.split for r in out if r.id in (1, 2, 4)}) == 1
+
+
+def test_copies_without_record_count_as_one_group(spark):
+    df = spark.createDataFrame([(i // 2, None, None) for i in range(400)], "id bigint, l string, r string")
+    out = grouped_splits(spark, df, "id", "l", "r", TARGETS).collect()
+    assert len(out) == 400 and all(n == 1 for n in Counter(i for i, _ in {(r.id, r.split) for r in out}).values())
+    assert abs(sum(r.split == "train" for r in out) / 400 - .7) < .05
