@@ -39,13 +39,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows, groups and share reached of each split, beside its target."""
+    """Rows, groups and share reached of each split of split_targets, beside its target; 0 where no row came."""
     alone = F.col("group_key").isNull()
     groups = F.countDistinct("group_key") + F.countDistinct(F.when(alone, F.col("first_id"))) + F.count(F.when(alone & F.col("first_id").isNull(), 1))
     rows = split_rows(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), groups.alias("n_groups"))
     total = rows.agg(F.sum("n_rows").alias("total"))
-    return (rows.join(table(spark, sf_dir, "split_targets"), F.col("split") == F.col("split_name")).crossJoin(F.broadcast(total))
-            .select("split_name", F.col("share").alias("target"), "n_rows", "n_groups", (F.col("n_rows") / F.col("total")).alias("reached")))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return (table(spark, sf_dir, "split_targets").join(rows, F.col("split") == F.col("split_name"), "left").crossJoin(F.broadcast(total))
+            .select("split_name", F.col("share").alias("target"), zero("n_rows"), zero("n_groups"), F.coalesce(F.col("n_rows") / F.col("total"), F.lit(0.0)).alias("reached")))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,8 +64,10 @@ def balance(weights: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
     return out, sums
 
 
-def allocate(sums: np.ndarray, targets: list[tuple[str, float]]) -> list[str]:
-    """Split of each bin: heaviest bins first, each to the split that lacks most of its target."""
+def allocate(sums: np.ndarray, targets: list[tuple[str, float]]) -> list[str | None]:
+    """Split of each bin: heaviest bins first, each to the split that lacks most of its target; None without targets."""
+    if not targets:
+        return [None] * len(sums)
     scale = sum(t for _, t in targets)
     lack = [t / scale * float(sums.sum()) for _, t in targets]
     out = [""] * len(sums)
@@ -111,7 +113,7 @@ def grouped_splits(spark: SparkSession, rows: DataFrame, row_id: str, left: str,
     Rows that touch a common record (columns left and right, null = missing) directly or through other rows share a
     group and therefore a split; a row without any record is a group of its own (group_key null). first_id is the
     smallest row_id of the group. Shares are met as near as whole bins and the largest group allow. Rows repeated with
-    the same row_id and no record form one group; each row with a null row_id and no record is its own.
+    the same row_id and no record form one group; without targets split is null; each row with a null row_id and no record is its own.
     """
     scratch = Scratch(spark, "rowgroups")
     records = connected_groups(spark, rows, left, right)
