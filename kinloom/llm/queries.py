@@ -8,17 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.functions.names import predicate_name, record_name
-from kinloom.functions.statements import parse_statements
+from kinloom.llm import abuse, canonical, leaks
 from kinloom.llm.components import connected_groups
 from kinloom.llm.frequencies import key_frequencies
-from kinloom.llm.mixing import mix_documents, mix_shares
+from kinloom.llm.mixing import mix_documents, mix_shares, source_name
 from kinloom.llm.splits import grouped_splits
-from kinloom.operators.wide import typed_cells, wide_rows
 from kinloom.session import table
 
-FOUND_TYPES = ["bigint", "date", "boolean", "decimal(3,1)"]
-
-
 def named_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "read_links").select(
         "link_id", record_name(F.col("wdc_iri")).alias("wdc"), record_name(F.col("wikidata_uri")).alias("wiki"))
@@ -49,19 +45,6 @@ def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("split_name", F.col("share").alias("target"), zero("n_rows"), zero("n_groups"), F.coalesce(F.col("n_rows") / F.col("total"), F.lit(0.0)).alias("reached")))
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_statements(table(spark, sf_dir, "parse_nq_or_nt"), "line_id", "line").where("reason is not null").select("line_id")
-
-
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalog = table(spark, sf_dir, "prop_catalog").where(F.col("col_type").isin(FOUND_TYPES))
-    return typed_cells(table(spark, sf_dir, "attr_triples_1"), catalog).distinct()
-
-
-def p5_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wide_rows(table(spark, sf_dir, "attr_triples_1"), table(spark, sf_dir, "prop_catalog"))
-
-
 def p7_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Total, dump files and mark of every predicate."""
     rows = table(spark, sf_dir, "write_prop_stats")
@@ -82,10 +65,48 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_shares(p9_mix(spark, sf_dir), table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
+def _typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "read_links").select("link_id", F.expr("stack(2, 'wdc', wdc_value, 'wiki', wiki_value) as (side, value)"))
+    return canonical.map_values(spark, rows.where(F.trim("value") != ""), "value", table(spark, sf_dir, "canonical_values"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _typed_values(spark, sf_dir).select("link_id", "side", F.coalesce("canon_id", F.lit(0)).cast("bigint").alias("canon_id"))
+
+
+def p6_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that name no entry, and how often each is typed on each side."""
+    return _typed_values(spark, sf_dir).where("canon_id is null").groupBy("side", "value").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_items(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item and the number of documents it leaked into, 0 where none."""
+    n = p8_found(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf_dir, "eval_items").select("item_id", "benchmark").join(n, "item_id", "left").select("item_id", "benchmark", F.coalesce("n", F.lit(0)).alias("n_docs"))
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scored_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "abuse_samples"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.flagged(p10_scores(spark, sf_dir))
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of documents of each source with each category."""
+    return abuse.source_rates(p10_scores(spark, sf_dir), table(spark, sf_dir, "documents"), source_name(F.col("source")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p4_found": p4_found, "p4_shares": p4_shares,
-    "p2_found": p2_found, "p5_found": p5_found, "p5_wide": p5_wide,
+    "p6_found": p6_found, "p6_misses": p6_misses, "p8_found": p8_found, "p8_report": p8_report,
     "p7_found": p7_found, "p7_stats": p7_stats, "p9_mix": p9_mix, "p9_shares": p9_shares,
+    "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,
 }
 
 SQL: dict[str, str] = {}
