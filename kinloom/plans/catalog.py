@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kinloom.functions.names import ENTITY_BASE, literal_text, record_name, schema_term
 from kinloom.functions.statements import parse_statements
 from kinloom.operators import linking
+from kinloom.operators.wide import typed_cells, wide_rows
 from kinloom.session import table
 
 NAME_TERM = "http://schema.example/name"
@@ -65,12 +66,28 @@ def key_link_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
             .crossJoin(links_to_ids(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_id_links"))))
 
 
+FOUND_TYPES = ["bigint", "date", "boolean", "decimal(3,1)"]
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_quads(spark, sf_dir).where("reason is not null").select("line_id")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = table(spark, sf_dir, "prop_catalog").where(F.col("col_type").isin(FOUND_TYPES))
+    return typed_cells(table(spark, sf_dir, "attr_triples_1"), catalog).distinct()
+
+
+def p5_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wide_rows(table(spark, sf_dir, "attr_triples_1"), table(spark, sf_dir, "prop_catalog"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return key_link_coverage(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"parse_quads": parse_quads, "key_link_exact": key_link_exact, "links_to_ids": links_to_ids, "key_link_coverage": key_link_coverage}
+    return {"p2_found": p2_found, "p5_found": p5_found, "p5_wide": p5_wide, "parse_quads": parse_quads, "key_link_exact": key_link_exact, "links_to_ids": links_to_ids, "key_link_coverage": key_link_coverage}
 
 
 def oracle_sql() -> dict[str, str]:

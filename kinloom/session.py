@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +29,23 @@ def build_session(app: str = "kinloom", master: str | None = None, **conf: str)
     return builder.config(map=settings).getOrCreate()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the Python workers, once an application; the driver serves the archive to them."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        _SHIPPED.add(app)
+        home = Path(__file__).resolve().parent
+        archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{home.name}", "zip", home.parent, home.name)
+        spark.sparkContext.addPyFile(archive)
+        shutil.rmtree(Path(archive).parent, ignore_errors=True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; a Parquet file or a folder of them."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -71,17 +87,5 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
-def empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
-
-def core_count(spark: SparkSession) -> int:
-    return max(2, spark.sparkContext.defaultParallelism)
-
-
-def data_path(*parts: str) -> str:
-    return os.path.join(*parts)
-
-
 def is_empty(df: DataFrame) -> bool:
     return not df.select(F.lit(1)).take(1)

@@ -5,7 +5,7 @@ from kinloom.operators.linking import key_link_exact, links_to_ids, mapping_ids
 def test_entry_file_gives_queries_and_flagship(spark):
     import __spark_entry__ as e
 
-    assert {"p1_found", "p4_found", "p4_shares", "parse_quads", "key_link_coverage"} <= set(e.queries())
+    assert {"p2_found", "p5_found", "parse_quads", "key_link_coverage"} <= set(e.queries())
     assert isinstance(e.oracle_sql(), dict)
     row = e.entry(spark).collect()
     assert len(row) == 1 and row[0].n_keys > 0
