@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -38,9 +39,9 @@ def ship(spark: SparkSession) -> None:
     if app not in _SHIPPED:
         _SHIPPED.add(app)
         home = Path(__file__).resolve().parent
-        archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{home.name}", "zip", home.parent, home.name)
-        spark.sparkContext.addPyFile(archive)
-        shutil.rmtree(Path(archive).parent, ignore_errors=True)
+        folder = tempfile.mkdtemp()
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{home.name}", "zip", home.parent, home.name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
