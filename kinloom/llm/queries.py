@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.functions.names import predicate_name, record_name
-from kinloom.llm import abuse, canonical, leaks
+from kinloom.functions.names import literal_text, predicate_name, record_name, schema_term
+from kinloom.llm import abuse, canonical, leaks, matching
 from kinloom.llm.components import connected_groups
 from kinloom.llm.frequencies import key_frequencies
 from kinloom.llm.mixing import mix_documents, mix_shares, source_name
@@ -24,6 +24,35 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_groups(spark, named_links(spark, sf_dir), "wdc", "wiki")
 
 
+W3, WEB, DIRECT = "http://www.w3.example/", "http://schema.example/", "http://www.wikidata.example/prop/direct/p"
+GRAPH_1 = matching.Schema(
+    facts={WEB + k: v for k, v in {"name": "N", "alternatename": "N", "datepublished": "D", "openingdate": "D", "duration": "U", "numberofpages": "P", "inalbum": "L",
+                                   "byartist": "C", "author": "C", "publisher": "B", "addresslocality": "T", "latitude": "Y", "longitude": "X", "elevation": "E"}.items()},
+    classes={"musicrecording": "recording", "book": "book", "airport": "airport"}, type_term=W3 + "1999/02/22-rdf-syntax-ns#type",
+    makers=[WEB + "byartist", WEB + "author"], places=[WEB + "address"], place_fact="T")
+FACTS_2 = {W3 + "2000/01/rdf-schema#label": "N", W3 + "2004/02/skos/core#altlabel": "N"} | {
+    DIRECT + k: v for k, v in {"90003": "D", "90004": "U", "90005": "L", "90007": "P", "90008": "B", "90020": "G", "90021": "E", "90023": "T"}.items()}
+CLASS_LABELS = {"music": "recording", "book": "book", "airport": "airport"}
+
+
+def graph_2(attributes: DataFrame) -> matching.Schema:
+    """Its classes are entities: those labelled as one of CLASS_LABELS, a handful whatever the graph's size."""
+    label = F.lower(F.trim(literal_text(F.col("t"))))
+    rows = attributes.where((schema_term(F.col("r")) == W3 + "2000/01/rdf-schema#label") & label.isin(list(CLASS_LABELS))).select(record_name(F.col("h")).alias("h"), label.alias("label"))
+    used = rows.where("h is not null").distinct().collect()
+    return matching.Schema(facts=FACTS_2, classes={r.h: CLASS_LABELS[r.label] for r in used}, type_term=DIRECT + "90001", makers=[DIRECT + "90002"])
+
+
+def p3_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every matching pair with its score and confidence."""
+    a1, r1, a2, r2 = (table(spark, sf_dir, f"{kind}_triples_{g}").select("h", "r", "t") for g in (1, 2) for kind in ("attr", "rel"))
+    return matching.match_entities(spark, a1, r1, GRAPH_1, a2, r2, graph_2(a2))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_matches(spark, sf_dir).select("h1", "h2")
+
+
 def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = [(r.split_name, float(r.share)) for r in table(spark, sf_dir, "split_targets").orderBy(F.desc("share"), "split_name").collect() if r.share and r.share > 0]
     return grouped_splits(spark, named_links(spark, sf_dir), "link_id", "wdc", "wiki", targets)
@@ -104,7 +133,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p4_found": p4_found, "p4_shares": p4_shares,
-    "p6_found": p6_found, "p6_misses": p6_misses, "p8_found": p8_found, "p8_report": p8_report,
+    "p3_found": p3_found, "p3_matches": p3_matches, "p6_found": p6_found, "p6_misses": p6_misses, "p8_found": p8_found, "p8_report": p8_report,
     "p7_found": p7_found, "p7_stats": p7_stats, "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,
 }
