@@ -223,7 +223,7 @@ def nearest_entries(spark: SparkSession, values: DataFrame, entries: DataFrame,
                     found += [(v, e, d, f) for d, f, e in words.ranked(v)[:2]]
                 yield pd.DataFrame(found, columns=["v", "e", "d", "f"])
 
-        hits = distinct.select("v").mapInPandas(look, "v string, e bigint, d double, f bigint")
+        hits = distinct.select("v").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(look, "v string, e bigint, d double, f bigint")
         out = hits if out is None else out.unionByName(hits)
     if out is None:
         return distinct.select(F.col("v").alias(value), F.lit(None).cast("bigint").alias(entry_id), F.lit(None).cast("double").alias("cost"))

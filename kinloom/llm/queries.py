@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinloom.functions.names import literal_text, predicate_name, record_name, schema_term
 from kinloom.llm import abuse, canonical, leaks, matching
 from kinloom.llm.components import connected_groups
-from kinloom.llm.frequencies import key_frequencies
+from kinloom.llm.frequencies import key_frequencies, sequence_counts
 from kinloom.llm.mixing import mix_documents, mix_shares, source_name
 from kinloom.llm.splits import grouped_splits
 from kinloom.session import table
@@ -81,6 +81,14 @@ def p7_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("key", "predicate")
 
 
+def p7_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summed count and dump files of every run of up to three parts of the predicates' paths."""
+    rows = table(spark, sf_dir, "write_prop_stats").select("dump_file", "predicate", "count", "written_at").distinct()
+    parts = F.filter(F.split(F.regexp_replace(predicate_name(F.col("predicate")), "^http://", ""), "[/#]"), lambda x: x != "")
+    runs = sequence_counts(rows.select(parts.alias("terms"), "dump_file", F.when(F.col("count") >= 0, F.col("count")).alias("n")), "terms", "dump_file", "n", 3)
+    return runs.select(F.array_join("gram", "/").alias("path"), F.size("gram").alias("n_parts"), "total", F.col("n_records").alias("n_files"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_stats(spark, sf_dir).where("mark is not null").select("predicate", "mark")
 
@@ -134,7 +142,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p4_found": p4_found, "p4_shares": p4_shares,
     "p3_found": p3_found, "p3_matches": p3_matches, "p6_found": p6_found, "p6_misses": p6_misses, "p8_found": p8_found, "p8_report": p8_report,
-    "p7_found": p7_found, "p7_stats": p7_stats, "p9_mix": p9_mix, "p9_shares": p9_shares,
+    "p7_found": p7_found, "p7_stats": p7_stats, "p7_paths": p7_paths, "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,
 }
 
