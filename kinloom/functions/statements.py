@@ -5,11 +5,6 @@ from __future__ import annotations
 import calendar
 import re
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
-
 FIELDS = ["s", "p", "o", "g", "reason"]
 XSD = "http://www.w3.example/2001/XMLSchema#"
 UCHAR = r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}"
@@ -69,14 +64,3 @@ def parse_line(line: str | None) -> tuple:
         if kind in LEXICAL and not in_type(unescape(t[1]), kind):
             return None, None, None, None, f"not a {kind}"
     return *m.groups(), None
-
-
-@F.pandas_udf(StructType([StructField(x, StringType()) for x in FIELDS]))
-def _parsed(lines: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_line(x) for x in lines], columns=FIELDS, dtype=object)
-
-
-def parse_statements(lines: DataFrame, row_id: str, line: str) -> DataFrame:
-    """(row_id, s, p, o, g, reason) for each row that is neither blank nor a comment: a statement or a reason."""
-    return (lines.select(row_id, _parsed(F.col(line)).alias("x")).select(row_id, "x.*")
-            .where("s is not null or reason is not null"))

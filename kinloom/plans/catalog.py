@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.functions.names import ENTITY_BASE, literal_text, record_name, schema_term
-from kinloom.functions.statements import parse_statements
 from kinloom.operators import linking
+from kinloom.operators.rejects import load_statements
 from kinloom.operators.wide import typed_cells, wide_rows
 from kinloom.session import table
 
@@ -19,7 +19,7 @@ LABEL_TERM = "http://www.w3.example/2000/01/rdf-schema#label"
 
 def parse_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of parse_nq_or_nt that is neither blank nor a comment: its terms, or the reason it has none."""
-    return parse_statements(table(spark, sf_dir, "parse_nq_or_nt"), "line_id", "line")
+    return load_statements(table(spark, sf_dir, "parse_nq_or_nt"), "line_id", "line")
 
 
 def _graph_1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,11 @@ def key_link_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
             .crossJoin(links_to_ids(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_id_links"))))
 
 
+def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loaded and rejected lines by reason; no reason: loaded."""
+    return parse_quads(spark, sf_dir).groupBy("reason").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 FOUND_TYPES = ["bigint", "date", "boolean", "decimal(3,1)"]
 
 
@@ -87,7 +92,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p5_found": p5_found, "p5_wide": p5_wide, "parse_quads": parse_quads, "key_link_exact": key_link_exact, "links_to_ids": links_to_ids, "key_link_coverage": key_link_coverage}
+    return {"p2_found": p2_found, "p2_reasons": p2_reasons, "p5_found": p5_found, "p5_wide": p5_wide, "parse_quads": parse_quads, "key_link_exact": key_link_exact, "links_to_ids": links_to_ids, "key_link_coverage": key_link_coverage}
 
 
 def oracle_sql() -> dict[str, str]:
