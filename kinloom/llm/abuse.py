@@ -7,8 +7,8 @@ voters are correlated; correlated voters share their weight. Its posteriors labe
 classifier over hashed words and word pairs is trained, so that a document is judged by more than the lists. A document
 has a category if one of its sentences is scored CUT or more.
 
-The counts cover all documents. The classifier is fitted on at most FIT sentences with votes and FIT without, those of
-least hash, and on the labelled samples: FIT is the documented bound of what reaches the driver. Vote patterns are at most
+The counts cover all documents. The classifier is fitted on at most FIT sentences with votes (those of least
+hash), FIT without (the most frequent of a hash sample) and the labelled samples: FIT is the documented bound of what reaches the driver. Vote patterns are at most
 three to the power of a category's voters.
 """
 
@@ -29,7 +29,7 @@ from kinloom.session import Scratch
 
 CATEGORIES = ("abuse", "hate", "sexual")
 FIT = 20_000
-CUT = 0.5
+CUT = 0.42
 BITS = 17
 SAMPLE_WEIGHT = 3.0
 GOLD_WEIGHT = 5.0
@@ -38,6 +38,7 @@ AGAINST = 0.02
 
 # Letters of other scripts and signs that are drawn like Latin letters.
 LOOKALIKE = str.maketrans("аеорсухіјѕкмтвнԁοαειρυ", "aeopcyxijskmtbhdoaeipu")
+OTHER_SCRIPT = re.compile("[\u0370-\u052f]")
 SIGNS = str.maketrans("013457@$!|", "oieastasil")
 # The voters' words.
 INSULTS = """idiot idiots moron morons cretin cretins imbecile imbeciles loser losers halfwit dimwit nitwit dumbass asshole assholes arsehole bastard bitch
@@ -62,6 +63,7 @@ MARKED = re.compile(r"[a-z0-9@$*!|]*[@$*|][a-z0-9@$*!|]*")
 INSIDE = re.compile(r"(?<=[a-z])[013457!](?=[a-z])|\b[013457](?=[a-z]{3})")
 DOTTED = re.compile(r"\b(?:[a-z0-9][.\-_*]){2,}[a-z0-9]\b|\b(?:[a-z] ){3,}[a-z]\b")
 LONG = re.compile(r"([a-z])\1{2,}")
+WORDS = re.compile(r"[a-z0-9']+")
 SENTENCE = re.compile(r"(?<=[.!?…])[\s\"”»']+|\n+")
 
 
@@ -70,7 +72,7 @@ def _any(ws: list[str]) -> str:
 
 
 def _near(a: str, b: str, n: int = 60) -> str:
-    return f"(?:{a}.{{0,{n}}}?{b}|{b}.{{0,{n}}}?{a})"
+    return f"(?:(?:{a}).{{0,{n}}}?(?:{b})|(?:{b}).{{0,{n}}}?(?:{a}))"
 
 
 INSULT, SLIGHT, YOURS, SEX = _any(INSULTS), _any(SLIGHTS), _any(YOU), _any(EXPLICIT)
@@ -78,22 +80,26 @@ LOW, WHO = _any(DEHUMAN), _any(GROUPS)
 SOLICIT = _any("watch download live send click video tape pics photos clips cams message explicit leaked scenes".split())
 CALM = (r"bastard title|garbage collect|dumb terminal|killer whale|trashy|bass line destroys|hate to say|kill the lights|hate speech|removed \w+ insulting|title page"
         r"|naked eye|strip the metadata|sexual reproduction|^sex: |breast cancer|cock pheasant|blue tit|explicit datatype|moderators|essay|figurative")
-# (category, vote, pattern)
-VOTERS = [(c, v, re.compile(p)) for c, v, p in [
-    ("abuse", 1, INSULT), ("abuse", 1, _near(INSULT + "|" + SLIGHT, YOURS)), ("abuse", 1, _near(SLIGHT, INSULT, 20)),
-    ("abuse", 1, r"\b(?:i|we)(?: will|'ll| ll| am going to| are going to|'m gonna| gonna) (?:find|kill|hurt|beat|break|hunt|get) (?:you|your)|break your|watch your back|know where you live|one more word and|ich (?:finde|bringe) dich|je vais te (?:tuer|trouver)|te voy a (?:matar|romper)"),
-    ("abuse", 1, r"\b(?:drown|kill|hang|hurt|shoot) yourself|hope (?:you|your)\b.{0,40}\b(?:die|dies|burn|burns|rot|suffer)|and rot\b|better (?:off )?without you|delete your account|you make me sick|schade um dich|creve\b|muerete"),
-    ("abuse", 1, r"\bshut up\b|\bget lost\b|nobody (?:wants|likes|needs) you|crawl back|shut (?:his|her|your|its|their) (?:ugly |fat |stupid )?mouth|ferme (?:ta|vos) gueule|ta gueule|halt (?:endlich )?(?:die|deine) (?:klappe|fresse|schnauze)|callate|cierra la boca|go away and|writes this garbage|another lie from"),
-    ("abuse", -1, CALM), ("abuse", -1, r"\b(?:track|chapter|side|page|edition|copies|label|title|recorded|catalogue|surveyor|runway)\b"),
-    ("hate", 1, LOW), ("hate", 1, _near(WHO, LOW)),
-    ("hate", 1, r"driven out|drive them out|burn the homes|cleanse\b|wipe(?:d)? out|wipe them|(?:don't|do not|doesn't) deserve to (?:live|breathe)|never hire|(?:don't|do not|won't|never) rent to|out of our (?:schools|town|country|land)|send every one|go back to|vertrieben|ausgerottet|qu'on les chasse|fuera de|expulsar|made to serve|be whipped|poison everything|ruin every town|ruin our blood|by blood\b|finish what .{1,30} started"),
-    ("hate", 1, r"\b(?:all|every|alle|les|the|toutes|todos)\b.{1,40}\b(?:are|sind|sont|son)\b.{0,25}" + LOW),
-    ("hate", 1, r"\b(?:their|whole|our) (?:race|blood|kind)\b|\brace is\b|finally be clean|without the .{1,30} would|the only good (?:thing|one)"),
-    ("hate", 1, r"\b(?:women|men|children) (?:are|should be|must be) (?:made|whipped|kept)|no decent .{1,30} should|keep .{1,40} children out|decent people"),
-    ("hate", -1, CALM), ("hate", -1, r"\b(?:track|chapter|edition|copies|recorded|catalogue|surveyor|runway|mastering)\b"),
-    ("sexual", 1, SEX), ("sexual", 1, SEX + r".{0,80}?" + SEX), ("sexual", 1, _near(SEX + r"|\bsex\b", SOLICIT)),
-    ("sexual", 1, r"\b(?:rough|group|oral|anal|wild|hot) sex\b|sex (?:tape|auf|on|with|scene)|had sex|have sex|wet girls|please you\b|sucked (?:him|her|it)|until (?:he|she) came|came (?:all )?over|hard cock|spread her|take her harder|lick every inch|begged him|pushed deeper|strips naked|got naked|se mit nue|sex tape|all positions|laut stohnend|toda la noche desnud"),
-    ("sexual", -1, CALM), ("sexual", -1, r"\b(?:track|chapter|edition|copies|recorded|catalogue|surveyor|runway|colony|ring|datatype|screening|pheasant)\b"),
+CALM_WORDS = "bastard garbage dumb killer trashy bass hate lights insulting title naked metadata sexual sex breast pheasant tit datatype moderators essay figurative".split()
+DOMAIN = "track chapter side page edition copies label title recorded catalogue surveyor runway mastering colony ring datatype screening pheasant".split()
+# (category, vote, words of which any match holds one, pattern)
+VOTERS = [(c, v, frozenset(" ".join(need).split()), re.compile(p)) for c, v, need, p in [
+    ("abuse", 1, INSULTS, INSULT), ("abuse", 1, YOU, _near(INSULT + "|" + SLIGHT, YOURS)), ("abuse", 1, SLIGHTS, _near(SLIGHT, INSULT, 20)),
+    ("abuse", 1, ["you your word dich te"], r"\b(?:i|we)(?: will|'ll| ll| am going to| are going to|'m gonna| gonna) (?:find|kill|hurt|beat|break|hunt|get) (?:you|your)|break your|watch your back|know where you live|one more word and|ich (?:finde|bringe) dich|je vais te (?:tuer|trouver)|te voy a (?:matar|romper)"),
+    ("abuse", 1, ["yourself hope rot without delete sick schade creve muerete"], r"\b(?:drown|kill|hang|hurt|shoot) yourself|hope (?:you|your)\b.{0,40}\b(?:die|dies|burn|burns|rot|suffer)|and rot\b|better (?:off )?without you|delete your account|you make me sick|schade um dich|creve\b|muerete"),
+    ("abuse", 1, ["shut lost nobody crawl gueule halt callate cierra away garbage lie"], r"\bshut up\b|\bget lost\b|nobody (?:wants|likes|needs) you|crawl back|shut (?:his|her|your|its|their) (?:ugly |fat |stupid )?mouth|ferme (?:ta|vos) gueule|ta gueule|halt (?:endlich )?(?:die|deine) (?:klappe|fresse|schnauze)|callate|cierra la boca|go away and|writes this garbage|another lie from"),
+    ("abuse", -1, CALM_WORDS, CALM), ("abuse", -1, DOMAIN, _any(DOMAIN[:12])),
+    ("hate", 1, DEHUMAN, LOW), ("hate", 1, GROUPS, _near(WHO, LOW)),
+    ("hate", 1, ["driven drive burn cleanse wipe wiped deserve hire rent schools town country land send go vertrieben ausgerottet chasse fuera expulsar serve whipped poison ruin blood finish"],
+     r"driven out|drive them out|burn the homes|cleanse\b|wipe(?:d)? out|wipe them|(?:don't|do not|doesn't) deserve to (?:live|breathe)|never hire|(?:don't|do not|won't|never) rent to|out of our (?:schools|town|country|land)|send every one|go back to|vertrieben|ausgerottet|qu'on les chasse|fuera de|expulsar|made to serve|be whipped|poison everything|ruin every town|ruin our blood|by blood\b|finish what .{1,30} started"),
+    ("hate", 1, DEHUMAN, r"\b(?:all|every|alle|les|the|toutes|todos)\b.{1,40}\b(?:are|sind|sont|son)\b.{0,25}" + LOW),
+    ("hate", 1, ["race blood kind clean without only"], r"\b(?:their|whole|our) (?:race|blood|kind)\b|\brace is\b|finally be clean|without the .{1,30} would|the only good (?:thing|one)"),
+    ("hate", 1, ["women men children decent"], r"\b(?:women|men|children) (?:are|should be|must be) (?:made|whipped|kept)|no decent .{1,30} should|keep .{1,40} children out|decent people"),
+    ("hate", -1, CALM_WORDS, CALM), ("hate", -1, DOMAIN, _any(DOMAIN)),
+    ("sexual", 1, EXPLICIT, SEX), ("sexual", 1, EXPLICIT, SEX + r".{0,80}?" + SEX), ("sexual", 1, EXPLICIT + ["sex"], _near(SEX + r"|\bsex\b", SOLICIT)),
+    ("sexual", 1, ["sex wet please sucked came cock spread harder lick begged deeper strips naked nue positions stohnend desnuda desnudas desnudos"],
+     r"\b(?:rough|group|oral|anal|wild|hot) sex\b|sex (?:tape|auf|on|with|scene)|had sex|have sex|wet girls|please you\b|sucked (?:him|her|it)|until (?:he|she) came|came (?:all )?over|hard cock|spread her|take her harder|lick every inch|begged him|pushed deeper|strips naked|got naked|se mit nue|sex tape|all positions|laut stohnend|toda la noche desnud"),
+    ("sexual", -1, CALM_WORDS, CALM), ("sexual", -1, DOMAIN, _any(DOMAIN)),
 ]]
 OF = {c: [k for k, v in enumerate(VOTERS) if v[0] == c] for c in CATEGORIES}
 
@@ -106,9 +112,11 @@ def _unmask(m: re.Match) -> str:
     return x.translate(SIGNS) if any(c.isalpha() for c in x) else x
 
 
-def plain(sentence: str) -> str:
+def plain(text: str) -> str:
     """Lower case, one script, signs and gaps inside words undone, drawn-out letters shortened."""
-    x = folded(sentence.lower().translate(LOOKALIKE)).replace("’", "'")
+    x = text.lower()
+    if not x.isascii():
+        x = folded(x.translate(LOOKALIKE) if OTHER_SCRIPT.search(x) else x).replace("’", "'")
     x = DOTTED.sub(lambda m: re.sub(r"[^a-z0-9]", "", m[0]), x)
     if any(c in x for c in "@$*|"):
         x = MARKED.sub(_unmask, x)
@@ -118,16 +126,25 @@ def plain(sentence: str) -> str:
 
 def sentences(text: str | None) -> list[str]:
     """The sentences of a whole text, made plain."""
-    return [p for s in SENTENCE.split(mended(text)) if s and (p := plain(s).strip())] if text else []
+    return [p for s in SENTENCE.split(plain(mended(text))) if (p := s.strip())] if text else []
 
 
 def votes(sentence: str) -> tuple[int, ...]:
-    return tuple(v if p.search(sentence) else 0 for _, v, p in VOTERS)
+    """One vote of each voter; voters against a category are asked only where one is for it."""
+    has = set(WORDS.findall(sentence))
+    out, wanted = [0] * len(VOTERS), set()
+    for k, (c, v, need, p) in enumerate(VOTERS):
+        if (v > 0 or c in wanted) and not has.isdisjoint(need) and p.search(sentence):
+            out[k] = v
+            wanted.add(c)
+    return tuple(out)
 
 
 def features(sentence: str) -> np.ndarray:
-    ws = ["N" if w.isdigit() else w for w in re.findall(r"[a-z0-9']+", sentence)]
-    return np.unique([zlib.crc32(x.encode()) >> (32 - BITS) for x in [*ws, *(f"{a} {b}" for a, b in zip(ws, ws[1:]))]]).astype(np.int64)
+    ws = ["N" if w.isdigit() else w for w in WORDS.findall(sentence)]
+    codes = {zlib.crc32(x.encode()) >> (32 - BITS) for x in ws}
+    codes.update(zlib.crc32(f"{a} {b}".encode()) >> (32 - BITS) for a, b in zip(ws, ws[1:]))
+    return np.array(sorted(codes), dtype=np.int64)
 
 
 class LabelModel:
@@ -206,11 +223,12 @@ def fit(spark: SparkSession, texts: DataFrame, samples: DataFrame, bound: int =
         for part in parts:
             rows = []
             for x in part.x:
-                for s in sentences(x):
+                for k, s in enumerate(sentences(x)):
                     v = votes(s)
                     h = zlib.crc32(s.encode())
                     seen[v] += 1
-                    if any(v) or h < scale:
+                    # drawn by occurrence, so that what is said often is among the sentences without votes
+                    if any(v) or zlib.crc32(f"{k} {len(x)}".encode(), h) < scale:
                         rows.append((h, s, list(v), 0))
             yield pd.DataFrame(rows, columns=["h", "s", "v", "n"])
         yield pd.DataFrame([(0, None, list(v), k) for v, k in seen.items()], columns=["h", "s", "v", "n"])
@@ -229,8 +247,7 @@ def fit(spark: SparkSession, texts: DataFrame, samples: DataFrame, bound: int =
         models[c] = LabelModel(uniq, np.bincount(at.ravel(), weights=sizes, minlength=len(uniq)), gold[:, OF[c]], truth[:, k])
     some = (kept.where("s is not null").groupBy("s").agg(F.min("h").alias("h"), F.first("v").alias("v"), F.count(F.lit(1)).alias("n"))
             .withColumn("f", F.exists("v", lambda x: x > 0)))
-    least = lambda on: some.where(F.col("f") if on else ~F.col("f")).orderBy("h", "s").limit(bound).collect()
-    rows = least(True) + least(False)
+    rows = some.where("f").orderBy("h", "s").limit(bound).collect() + some.where("not f").orderBy(F.desc("n"), "h", "s").limit(bound).collect()
     scratch.drop(kept)
     votes_of = np.array([r.v for r in rows], dtype=np.int8).reshape(-1, len(VOTERS))
     labels = np.stack([models[c].posterior(votes_of[:, OF[c]]) for c in CATEGORIES], axis=1)

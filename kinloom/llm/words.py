@@ -8,8 +8,10 @@ import unicodedata
 
 TAG = re.compile(r"<[^<>]{0,400}>")
 BROKEN = re.compile("[Â-ô][\u0080-¿Œ-ŸŽžƒˆ˜–-›€™]{1,3}")
-INVISIBLE = dict.fromkeys([0xAD, *range(0x200B, 0x2010), 0x2060, 0xFEFF])
+INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
+MARK = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u20d0-\u20f0]")
 WORD = re.compile(r"[^\W_]+")
+SINGLE_LETTER = re.compile("[øßæœłđðþ]")
 SINGLE = str.maketrans({"ø": "o", "ß": "ss", "æ": "ae", "œ": "oe", "ł": "l", "đ": "d", "ð": "d", "þ": "th"})
 
 
@@ -38,14 +40,15 @@ def mended(text: str) -> str:
         text = TAG.sub(" ", text)
     if "&" in text:
         text = html.unescape(text)
-    return text.translate(INVISIBLE)
+    return text if text.isascii() else INVISIBLE.sub("", text)
 
 
 def folded(text: str) -> str:
     """Lower case without accents, compatibility forms resolved."""
     if text.isascii():
         return text.lower()
-    return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c)).translate(SINGLE)
+    low = MARK.sub("", unicodedata.normalize("NFKD", text.lower()))
+    return low.translate(SINGLE) if SINGLE_LETTER.search(low) else low
 
 
 def words(text: str | None) -> list[str]:
