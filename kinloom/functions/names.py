@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +40,36 @@ def record_name(c: Column) -> Column:
     )
 
 
+ENTITY = re.compile(ENTITY_PATTERN)
+HOST = re.compile(r"^https?://([^/?#]+)(.*)$", re.I | re.S)
+NO_NUMBER = re.compile(r"^https?://(?:www\.)?wikidata\.example(?:/(?:entity|wiki)?)?/*$", re.I)
+
+
+@lru_cache(maxsize=50_000)
+def record_name_of(text: str) -> str | None:
+    """record_name for one value, for maps that see every row anyway."""
+    if text.startswith("_:") and len(text) > 2 and text[-1] not in "> \t\r\n":
+        return text
+    u = re.sub(r"[\s>]+$", "", re.sub(r"^[\s<]+", "", text))
+    if u.lower() in MISSING_NAMES or NO_NUMBER.match(u):
+        return None
+    if u.startswith("_:"):
+        return u
+    if m := ENTITY.match(u):
+        return ENTITY_BASE + m[1].upper()
+    if m := HOST.match(u):
+        return "http://" + m[1].lower() + re.sub(r"/+$", "", m[2])
+    return u
+
+
+@lru_cache(maxsize=10_000)
+def schema_term_of(text: str, base: str = "http://schema.example/", prefix: str = "schema:") -> str:
+    """schema_term for one value."""
+    u = re.sub(r"[\s>]+$", "", re.sub(r"^[\s<]+", "", text))
+    u = base + u[len(prefix):] if u.lower().startswith(prefix) else u
+    return re.sub(r"/+$", "", re.sub(r"^https://", "http://", u.lower()))
+
+
 def predicate_name(c: Column) -> Column:
     """A predicate in one spelling: no brackets, outer space or final slash, ``http``, all lower case."""
     u = F.lower(unwrap(c))
