@@ -27,8 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinloom.functions.cells import as_date, as_seconds, as_whole, lexical, number
-from kinloom.functions.names import record_name, schema_term
+from kinloom.functions.cells import as_date, as_seconds, as_whole, lexical
+from kinloom.functions.names import record_name_of, schema_term_of
 from kinloom.llm.words import folded, mended
 from kinloom.session import Scratch
 
@@ -52,8 +52,6 @@ class Schema:
     type_term: str
     makers: list[str]
     places: list[str] = field(default_factory=list)
-    place_fact: str = ""
-    name_term: str = ""
 
 
 def flat(x: str) -> str:
@@ -116,28 +114,50 @@ def facts(kind: str, t: str) -> tuple[tuple[str, str], ...]:
     return ((kind, n),) if n else ()
 
 
-def profiles(attributes: DataFrame, relations: DataFrame, schema: Schema) -> DataFrame:
-    """(id, cls, profile): the distinct facts of each record of a class in schema.classes, as one text."""
-    rel = relations.select(record_name(F.col("h")).alias("id"), schema_term(F.col("r")).alias("r"), record_name(F.col("t")).alias("o")).where("id is not null and o is not null")
+def attribute_facts(attributes: DataFrame, schema: Schema) -> DataFrame:
+    """(id, f): the clean facts of attribute triples, kind and value in one text; one map, nothing moves."""
     kinds = schema.facts
-    att = attributes.where("t is not null").select(record_name(F.col("h")).alias("id"), schema_term(F.col("r")).alias("r"), "t").where(F.col("id").isNotNull() & F.col("r").isin(list(kinds)))
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [(i, f"{k}{v}") for i, r, t in zip(part.id, part.r, part.t) for k, v in facts(kinds[r], t)]
-            yield pd.DataFrame(rows, columns=["id", "f"])
+            ids, out = [], []
+            for h, r, t in zip(part.h, part.r, part.t):
+                if (kind := kinds.get(schema_term_of(r))) and (i := record_name_of(h)):
+                    for k, v in facts(kind, t):
+                        ids.append(i)
+                        out.append(k + v)
+            yield pd.DataFrame({"id": ids, "f": out}, dtype=object)
+
+    return attributes.select("h", "r", "t").where("h is not null and r is not null and t is not null").mapInPandas(read, "id string, f string")
+
+
+def relation_facts(relations: DataFrame, schema: Schema) -> DataFrame:
+    """(id, role, o): K and the class of a typed record, C and a maker, T and a node that tells the place."""
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for h, r, t in zip(part.h, part.r, part.t):
+                term = schema_term_of(r)
+                role = "K" if term == schema.type_term else "C" if term in schema.makers else "T" if term in schema.places else None
+                if role and (i := record_name_of(h)) and (o := record_name_of(t)):
+                    if role == "K":
+                        o = schema.classes.get(re.sub(r"^.*[/:#]", "", o).lower()) or schema.classes.get(o)
+                    if o:
+                        rows.append((i, role, o))
+            yield pd.DataFrame(rows, columns=["id", "role", "o"], dtype=object)
+
+    return relations.select("h", "r", "t").where("h is not null and r is not null and t is not null").mapInPandas(read, "id string, role string, o string")
 
-    own = att.mapInPandas(read, "id string, f string")
-    typed = F.lower(F.regexp_replace("o", r"^.*[/:#]", ""))
-    classes = F.create_map(*[x for k, v in schema.classes.items() for x in (F.lit(k), F.lit(v))])
-    kind_of = rel.where(F.col("r") == schema.type_term).select("id", F.coalesce(F.try_element_at(classes, typed), F.try_element_at(classes, F.col("o"))).alias("cls")).where("cls is not null")
+
+def profiles(attributes: DataFrame, relations: DataFrame, schema: Schema, scratch: Scratch) -> DataFrame:
+    """(id, cls, profile): the distinct facts of each record of a class in schema.classes, as one text."""
+    own, rel = scratch.write(attribute_facts(attributes, schema)), scratch.write(relation_facts(relations, schema).distinct())
     # names of the makers, and places of the address nodes, behind a relation
-    behind = rel.where(F.col("r").isin(schema.makers + schema.places)).select("id", F.col("o").alias("node"), F.col("r").isin(schema.makers).alias("maker")).distinct()
-    named = own.where(F.substring("f", 1, 1).isin("N", *([schema.place_fact] if schema.place_fact else []))).select(F.col("id").alias("node"), F.col("f").alias("nf"))
-    far = behind.join(named, "node", "left")
-    makers = far.where("maker and (nf is null or nf like 'N%')").select("id", F.concat(F.lit("C"), F.coalesce(F.substring("nf", 2, 200), F.lit("")), F.lit("@"), F.col("node")).alias("f"))
-    places = far.where(~F.col("maker") & F.col("nf").startswith(schema.place_fact or "\x00")).select("id", F.col("nf").alias("f"))
-    every = own.unionByName(makers).unionByName(places).unionByName(kind_of.select("id", F.concat(F.lit("K"), "cls").alias("f")))
+    behind = rel.where("role <> 'K'").select("id", "role", F.col("o").alias("node"))
+    named = own.where("f like 'N%' or f like 'T%'").select(F.col("id").alias("node"), F.col("f").alias("nf")).distinct()
+    far = behind.join(named, "node", "left").where("role = 'C' and (nf is null or nf like 'N%') or role = 'T' and nf like 'T%'")
+    told = F.when(F.col("role") == "T", F.col("nf")).otherwise(F.concat(F.lit("C"), F.coalesce(F.substring("nf", 2, 200), F.lit("")), F.lit("@"), F.col("node")))
+    every = own.unionByName(far.select("id", told.alias("f"))).unionByName(rel.where("role = 'K'").select("id", F.concat(F.lit("K"), "o").alias("f")))
     packed = every.groupBy("id").agg(F.sort_array(F.collect_set("f")).alias("fs"))
     return (packed.withColumn("cls", F.substring(F.get(F.filter("fs", lambda f: f.startswith("K")), F.lit(0)), 2, 20)).where("cls is not null")
             .select("id", "cls", F.array_join(F.filter("fs", lambda f: ~f.startswith("K")), SPLIT).alias("profile")))
@@ -285,7 +305,7 @@ def match_entities(spark: SparkSession, attributes_1: DataFrame, relations_1: Da
     rows change nothing; empty tables give no rows; other columns are ignored. A record may match several others.
     """
     scratch = Scratch(spark, "matching")
-    one, two = (scratch.write(profiles(a, r, s).withColumn("n", F.monotonically_increasing_id())) for a, r, s in ((attributes_1, relations_1, schema_1), (attributes_2, relations_2, schema_2)))
+    one, two = (scratch.write(profiles(a, r, s, scratch).withColumn("n", F.monotonically_increasing_id())) for a, r, s in ((attributes_1, relations_1, schema_1), (attributes_2, relations_2, schema_2)))
     pairs = scratch.write(candidate_pairs(one, two, scratch))
     p1, p2 = one.select(F.col("n").alias("a"), F.col("id").alias("h1"), F.col("profile").alias("x")), two.select(F.col("n").alias("b"), F.col("id").alias("h2"), F.col("profile").alias("y"))
 

@@ -29,7 +29,7 @@ GRAPH_1 = matching.Schema(
     facts={WEB + k: v for k, v in {"name": "N", "alternatename": "N", "datepublished": "D", "openingdate": "D", "duration": "U", "numberofpages": "P", "inalbum": "L",
                                    "byartist": "C", "author": "C", "publisher": "B", "addresslocality": "T", "latitude": "Y", "longitude": "X", "elevation": "E"}.items()},
     classes={"musicrecording": "recording", "book": "book", "airport": "airport"}, type_term=W3 + "1999/02/22-rdf-syntax-ns#type",
-    makers=[WEB + "byartist", WEB + "author"], places=[WEB + "address"], place_fact="T")
+    makers=[WEB + "byartist", WEB + "author"], places=[WEB + "address"])
 FACTS_2 = {W3 + "2000/01/rdf-schema#label": "N", W3 + "2004/02/skos/core#altlabel": "N"} | {
     DIRECT + k: v for k, v in {"90003": "D", "90004": "U", "90005": "L", "90007": "P", "90008": "B", "90020": "G", "90021": "E", "90023": "T"}.items()}
 CLASS_LABELS = {"music": "recording", "book": "book", "airport": "airport"}
@@ -70,7 +70,7 @@ def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = split_rows(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), groups.alias("n_groups"))
     total = rows.agg(F.sum("n_rows").alias("total"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return (table(spark, sf_dir, "split_targets").join(rows, F.col("split") == F.col("split_name"), "left").crossJoin(F.broadcast(total))
+    return (table(spark, sf_dir, "split_targets").join(rows, F.col("split") == F.col("split_name"), "left").join(F.broadcast(total))
             .select("split_name", F.col("share").alias("target"), zero("n_rows"), zero("n_groups"), F.coalesce(F.col("n_rows") / F.col("total"), F.lit(0.0)).alias("reached")))
 
 

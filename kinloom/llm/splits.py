@@ -1,9 +1,10 @@
 """Splits that keep related records together: components, then largest-differencing balance into equal bins.
 
-Groups are dealt to hash buckets of bounded size. Inside a bucket the largest-differencing method builds a tuple of
-``bins`` sums: equal weights that fill whole rounds of bins cancel at once, and for the rest the two partial solutions
-with the greatest spread are combined, largest bins onto smallest. The buckets' tuples (``bins`` numbers each) are
-combined in the same way, and whole bins are allocated to the splits by what each still lacks of its target.
+Groups are ordered by weight. Equal weights that fill whole rounds of ``bins`` cancel at once: group number i of its weight
+goes to bin i mod ``bins``. What is left, fewer than ``bins`` groups of each distinct weight, is balanced by the largest-
+differencing method: the two partial solutions with the greatest spread are combined, largest bins onto smallest, until one
+is left. As n rows have at most sqrt(2 n) distinct group weights, that remainder is small at any size; one task takes it.
+Whole bins are then allocated to the splits by what each still lacks of its target.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from kinloom.operators.skew import skew_join
 from kinloom.session import Scratch
 
 BINS = 100
-BUCKET_GROUPS = 200_000
 
 
 def difference(tuples: list[tuple[np.ndarray, list[list]]]) -> tuple[np.ndarray, list[list]]:
@@ -39,29 +39,20 @@ def difference(tuples: list[tuple[np.ndarray, list[list]]]) -> tuple[np.ndarray,
     return heap[0][2], heap[0][3]
 
 
-def balance(weights: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bin of each item by the largest-differencing method, and the bins' sums."""
-    out = np.zeros(len(weights), dtype=np.int64)
-    order = np.argsort(-weights, kind="stable")
-    even, rest = 0.0, []
-    start = 0
-    values, counts = np.unique(-weights, return_counts=True)
-    for value, count in zip(-values, counts):
-        whole = count // bins * bins
-        out[order[start:start + whole]] = np.arange(whole) % bins
-        even += float(value) * (count // bins)
-        for i in order[start + whole:start + count]:
+def balance(weights: np.ndarray, counts: np.ndarray, bins: int) -> tuple[list[tuple[float, int, int]], np.ndarray]:
+    """(weight, number, bin) of the groups that whole rounds leave over, and the sums of all bins."""
+    sums, rest = np.full(bins, float((weights * (counts // bins)).sum())), []
+    for w, c in zip(weights.tolist(), counts.tolist()):
+        for i in range(c // bins * bins, c):
             s = np.zeros(bins)
-            s[0] = value
-            rest.append((s, [[i]] + [[] for _ in range(bins - 1)]))
-        start += count
-    sums = np.full(bins, even)
+            s[0] = w
+            rest.append((s, [[(w, i)], *[[] for _ in range(bins - 1)]]))
+    placed = []
     if rest:
         more, members = difference(rest)
         sums = sums + more
-        for b, items in enumerate(members):
-            out[items] = b
-    return out, sums
+        placed = [(w, i, b) for b, items in enumerate(members) for w, i in items]
+    return placed, sums
 
 
 def allocate(sums: np.ndarray, targets: list[tuple[str, float]]) -> list[str | None]:
@@ -81,30 +72,31 @@ def allocate(sums: np.ndarray, targets: list[tuple[str, float]]) -> list[str | N
 def assign_groups(spark: SparkSession, groups: DataFrame, key: str, weight: str, targets: list[tuple[str, float]], bins: int = BINS) -> DataFrame:
     """(key, bin int, split string) for each row of ``groups`` (one row a group, weight > 0)."""
     scratch = Scratch(spark, "splits")
-    groups = scratch.write(groups.select(F.col(key).alias("k"), F.col(weight).cast("double").alias("w")))
-    buckets = max(1, -(-groups.count() // BUCKET_GROUPS))
-
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k").reset_index(drop=True)
-        pdf["b"] = balance(pdf.w.to_numpy(), bins)[0]
-        return pdf
-
-    kind = groups.schema["k"].dataType.simpleString()
-    dealt = scratch.write(groups.withColumn("p", F.pmod(F.xxhash64("k"), F.lit(buckets))).groupBy("p")
-                          .applyInPandas(deal, f"k {kind}, w double, p bigint, b bigint"))
-    part = dealt.groupBy("p", "b").agg(F.sum("w").alias("w")).toPandas()  # bins numbers a bucket
-    tuples = []
-    for p, own in part.groupby("p"):
-        s = np.zeros(bins)
-        s[own.b.to_numpy()] = own.w.to_numpy()
-        tuples.append((s, [[(int(p), b)] for b in range(bins)]))
-    if not tuples:
-        return groups.select(F.col("k").alias(key), F.lit(0).alias("bin"), F.lit("").alias("split"))
-    sums, members = difference(tuples)
+    ordered = groups.select(F.col(key).alias("k"), F.col(weight).cast("double").alias("w")).orderBy(F.desc("w"), "k")
+    rows = scratch.write(ordered.withColumn("m", F.monotonically_increasing_id()))
+    place = rows.select("k", "w", F.shiftright("m", 33).alias("part"), F.expr("m & 8589934591").alias("i"))
+    offsets, total = [], 0
+    for r in place.groupBy("part").count().orderBy("part").collect():
+        offsets.append((r["part"], total))
+        total += r["count"]
+    at = place.join(F.broadcast(spark.createDataFrame(offsets, "part bigint, shift bigint")), "part").select("k", "w", (F.col("i") + F.col("shift")).alias("at"))
+    sizes = scratch.write(at.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("start")))
+
+    def share(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("w", ascending=False)
+        placed, sums = balance(pdf.w.to_numpy(), pdf.n.to_numpy(), bins)
+        return pd.DataFrame(placed + [(float(x), -1, b) for b, x in enumerate(sums)], columns=["w", "i", "b"])
+
+    plan = scratch.write(sizes.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(share, "w double, i bigint, b bigint"))
+    sums = np.zeros(bins)
+    for r in plan.where("i < 0").collect():
+        sums[r.b] = r.w
     splits = allocate(sums, targets)
-    rows = [(p, b, i, splits[i]) for i, of in enumerate(members) for p, b in of]
-    lookup = spark.createDataFrame(rows, "p bigint, b bigint, bin int, split string")
-    return dealt.join(lookup, ["p", "b"]).select(F.col("k").alias(key), "bin", "split")
+    numbered = skew_join(at, sizes, "w").select("k", "w", (F.col("at") - F.col("start")).alias("i"), "n")
+    whole = F.col("i") < F.col("n") - F.col("n") % bins
+    left = numbered.where(~whole).join(plan.where("i >= 0"), ["w", "i"]).select("k", F.col("b").cast("int").alias("bin"))
+    every = numbered.where(whole).select("k", (F.col("i") % bins).cast("int").alias("bin")).unionByName(left)
+    return every.select(F.col("k").alias(key), "bin", F.array(*[F.lit(s).cast("string") for s in splits])[F.col("bin")].alias("split"))
 
 
 def grouped_splits(spark: SparkSession, rows: DataFrame, row_id: str, left: str, right: str, targets: list[tuple[str, float]], bins: int = BINS) -> DataFrame:
