@@ -19,12 +19,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.operators.skew import hot_keys, skew_join
+from kinloom.operators.skew import hot_keys, in_list, skew_join
 from kinloom.session import Scratch, is_empty
 
 BETA = 0.35
 ROUNDS = 8
 SMALL_EDGES = 2_000
+SALTS = 32
 
 
 def _start(v: str, level: int, beta: float, rounds: int):
@@ -34,15 +35,21 @@ def _start(v: str, level: int, beta: float, rounds: int):
 
 
 def _grow(edges: DataFrame, level: int, beta: float, rounds: int, hot: list) -> DataFrame:
-    """(v, c): the centre c whose cluster reaches v first; edges (a, b) are long ids, each once, a < b."""
+    """(v, c): the centre c whose cluster reaches v first; edges (a, b) are long ids, each once, a < b.
+
+    A round refers to the state once, so that the plan grows with the rounds and no faster: each edge carries its sender's
+    state to both ends. Edges of hot senders are salted by their other end, and the sender's state is copied to each salt.
+    """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    salted = both.withColumn("s", F.when(in_list(F.col("a"), hot), F.pmod(F.xxhash64("b"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
     state = both.select(F.col("a").alias("v")).distinct().withColumn("at", F.struct(_start("v", level, beta, rounds).alias("t"), F.col("v").alias("c")))
+    salts = F.when(in_list(F.col("v"), hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     for _ in range(rounds):
+        sender = state.select(F.col("v").alias("a"), "at", F.explode(salts).alias("s"))
+        later = F.struct((F.col("at.t") + 1).alias("t"), F.col("at.c").alias("c"))
         # a cluster that would arrive after the last possible start can't win, so it isn't sent
-        sender = state.where(F.col("at.t") <= rounds - 1).select(F.col("v").alias("a"), "at")
-        sent = skew_join(both, sender, "a", "inner", hot).select(
-            F.col("b").alias("v"), F.struct((F.col("at.t") + 1).alias("t"), F.col("at.c").alias("c")).alias("at"))
-        state = state.unionByName(sent).groupBy("v").agg(F.min("at").alias("at"))
+        told = F.when(F.col("at.t") <= rounds - 1, F.array(F.struct(F.col("a").alias("v"), "at"), F.struct(F.col("b").alias("v"), later.alias("at")))).otherwise(F.array(F.struct(F.col("a").alias("v"), "at")))
+        state = salted.join(sender, ["a", "s"]).select(F.explode(told).alias("x")).groupBy("x.v").agg(F.min("x.at").alias("at"))
     return state.select("v", F.col("at.c").alias("c"))
 
 
