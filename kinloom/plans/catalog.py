@@ -11,6 +11,7 @@ from kinloom.functions.names import ENTITY_BASE, literal_text, record_name, sche
 from kinloom.operators import linking
 from kinloom.operators.rejects import load_statements
 from kinloom.operators.wide import typed_cells, wide_rows
+from kinloom.plans import surveyed
 from kinloom.session import table
 
 NAME_TERM = "http://schema.example/name"
@@ -92,8 +93,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_reasons": p2_reasons, "p5_found": p5_found, "p5_wide": p5_wide, "parse_quads": parse_quads, "key_link_exact": key_link_exact, "links_to_ids": links_to_ids, "key_link_coverage": key_link_coverage}
+    return {"p2_found": p2_found, "p2_reasons": p2_reasons, "p5_found": p5_found, "p5_wide": p5_wide, "parse_quads": parse_quads, "key_link_exact": key_link_exact, "links_to_ids": links_to_ids, "key_link_coverage": key_link_coverage} | surveyed.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return surveyed.SQL
