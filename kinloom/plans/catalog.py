@@ -81,7 +81,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog = table(spark, sf_dir, "prop_catalog").where(F.col("col_type").isin(FOUND_TYPES))
-    return typed_cells(table(spark, sf_dir, "attr_triples_1"), catalog).distinct()
+    return typed_cells(table(spark, sf_dir, "attr_triples_1"), catalog)
 
 
 def p5_wide(spark: SparkSession, sf_dir: str) -> DataFrame:

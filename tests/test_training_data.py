@@ -30,5 +30,15 @@ def test_wide_rows(spark):
     rows = [("_:a", "schema:numtracks", '"7"'), ("_:a", "<https://schema.example/numTracks/>", "7"), ("_:a", "http://schema.example/numTracks", '"3"'), ("_:b", "schema:name", '"x"@en'), (None, "schema:name", '"y"'), ("_:c", "schema:name", None)]
     df = spark.createDataFrame(rows, "h string, r string, t string")
     assert {tuple(r) for r in typed_cells(df, catalog).distinct().collect()} == {("_:a", "num_tracks", "7"), ("_:a", "num_tracks", "3"), ("_:b", "name", "x")}
-    got = {r.h: (r.num_tracks, r.num_tracks_more, r.name) for r in wide_rows(df, catalog).collect()}
-    assert got == {"_:a": (7, 1, None), "_:b": (None, 0, "x"), "_:c": (None, 0, None)}
+    got = {r.h: (r.num_tracks, r.num_tracks_more, r.num_tracks_failed, r.name) for r in wide_rows(df.union(spark.createDataFrame([("_:c", "schema:numTracks", "many")], df.schema)), catalog).collect()}
+    assert got == {"_:a": (7, 1, None, None), "_:b": (None, 0, None, "x"), "_:c": (None, 0, "many", None)}
+    assert typed_cells(df.limit(0), catalog).collect() == [] and wide_rows(df.limit(0), catalog).collect() == []
+
+
+def test_a_hot_subject_in_two_spellings(spark):
+    from kinloom.operators.wide import typed_cells, wide_rows
+
+    catalog = spark.createDataFrame([("http://schema.example/numTracks", "num_tracks", "bigint", None)], "prop string, col_name string, col_type string, unit string")
+    df = spark.createDataFrame([("_:hub" if i % 3 else " <_:hub> ", "schema:numTracks", str(i % 50)) for i in range(6000)], "h string, r string, t string")
+    assert sorted(int(r.cell) for r in typed_cells(df, catalog).collect()) == list(range(50))
+    assert [(r.h, r.num_tracks_more) for r in wide_rows(df, catalog).collect()] == [("_:hub", 49)]
