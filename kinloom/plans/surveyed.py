@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinloom.functions.names import literal_text, record_name, schema_term
+from kinloom.operators import names
 from kinloom.operators import triples as t3
 from kinloom.operators import vectors as vec
 from kinloom.operators.linking import normalize_key
 from kinloom.plans.views import Views, sql
 from kinloom.session import Scratch
+from kinloom.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -364,3 +367,87 @@ PLANES = [[1.0 if (7 * i + 3 * p) % 5 < 2 else -1.0 for i in range(64)] for p in
 define("lsh_buckets", lambda v: vec.hyperplane_codes(v.v1, PLANES).groupBy("code").agg(F.count(F.lit(1)).alias("n")), "select concat(" + ",".join(f"case when list_dot_product(vec,{p}::DOUBLE[])>=0 then '1' else '0' end" for p in PLANES) + ") code,count(*) n from v1 group by 1", "v1")
 define("crossfold_mean_std", lambda v: t3.folds(v.links).where("part = 'test'").groupBy("fold").agg(F.avg(F.length("e1")).alias("x")).agg(r6(F.avg("x"), "mean"), r6(F.stddev("x"), "std")),
        "with f as (select fold,e1,row_number() over (partition by fold order by md5(concat(fold,'|',e1,'|',e2)),e1,e2) k,count(*) over (partition by fold) n from links, range(1,6) r(fold)), g as (select fold,avg(length(e1)) x from f where k>floor(n*0.7)+floor(n*0.2) group by fold) select round(avg(x),6) mean,round(stddev(x),6) std from g", "links")
+
+
+# files: written to the shared folder and read again
+
+def _round_trip(v: Views, rows: DataFrame, write=None) -> str:
+    scratch = Scratch(v.spark, "files")
+    path = f"{scratch.root}/rows"
+    (write or files.write_rows)(rows, path)
+    return path
+
+
+define("read_relation_triples", lambda v: files.read_relations(v.spark, _round_trip(v, v.place)), "select distinct h,r,t from place", "place")
+define("read_attribute_triples", lambda v: files.read_attributes(v.spark, _round_trip(v, v.attr2)), "select distinct e,a,v from attr2", "attr2")
+define("read_links", lambda v: files.read_links(v.spark, _round_trip(v, v.links.select("e1", "e2"))).select("e1", "e2"), "select e1,e2 from links", "links")
+define("read_link_table", lambda v: files.read_link_table(v.spark, _round_trip(v, v.table("read_links").where(~F.concat("wdc_iri", "wikidata_uri").contains("\t")).select("wdc_iri", "wikidata_uri"))),
+       "select trim(wdc_iri,' ') wdc_iri,trim(wikidata_uri,' ') wikidata_uri from read_links where not contains(wdc_iri||wikidata_uri,chr(9))")
+define("read_id_dictionary", lambda v: files.read_ids(v.spark, _round_trip(v, v.table("customer").select("c_name", "c_custkey"))), "select c_name uri,c_custkey id from customer")
+define("read_word_vectors", lambda v: files.read_word_vectors(v.spark, _round_trip(v, v.v1, files.write_vectors), 64).select("word", r6(F.element_at("vec", 1), "x")), "select id::varchar word,round(vec[1],6) x from v1", "v1")
+define("same_as_export", lambda v: files.same_as(v.links), "select concat('<',e1,'> <http://www.w3.org/2002/07/owl#sameAs> <',e2,'> .') as value from links", "links")
+define("predicate_statistics", lambda v: files.predicate_statistics(v.rel1, v.spark.createDataFrame([("placedBy", "placed by")], "r string, label string")), "select r predicate,count(*) count,case r when 'placedBy' then 'placed by' else r end as label from rel1 group by r", "rel1")
+define("json_export", lambda v: files.as_json(v.table("region").select("r_regionkey", "r_name")), """select concat('{"r_regionkey":',r_regionkey,',"r_name":"',r_name,'"}') as value from region""")
+define("link_export_detail", lambda v: v.table("read_links").groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.min("min_len").alias("shortest")), "select method,count(*) n,min(min_len) shortest from read_links group by method")
+
+# names of vocabularies
+define("name_ratio_match", lambda v: names.mutual_best(v.table("region").select(F.lower("r_name").alias("x")), v.table("part").select(F.lower("p_type").alias("y")), 0.2).withColumn("sim", F.round("sim", 6)))
+define("coalign_entities", lambda v: names.mediated(v.attr2.where("a = 'brand' or a = 'label'"), v.attr2.where("e like 'p1%'").select((F.concat(F.lit("x"), "e")).alias("e"), "a", "v"), v.spark.createDataFrame([("label", "label"), ("brand", "brand")], "a1 string, a2 string")).where("sim > 0.9").withColumn("sim", F.round("sim", 6)),
+       "with p as (select distinct e,a,lower(v) v from attr2 where a in ('brand','label')), q as (select distinct concat('x',e) e,a,lower(v) v from attr2 where e like 'p1%'), n as (select p.e e1,q.e e2,count(distinct p.a) n from p join q on p.a=q.a and p.v=q.v group by 1,2), m as (select e,count(distinct a) m from p group by e) select e1,e2,round(n/m,6) sim from n join m on m.e=e1 where n/m>0.9", "attr2")
+define("coalign_attributes", lambda v: names.attribute_votes(v.attr1, v.attr2, v.links).withColumn("sim", F.round("sim", 6)), "select x.a a1,y.a a2,round(avg((lower(x.v)=lower(y.v))::int),6) sim from attr1 x join links on x.e=e1 join attr2 y on y.e=e2 group by 1,2", "attr1", "attr2", "links")
+define("predicate_refresh", lambda v: names.refreshed(vec.search(v.spark, v.v1, v.v2, 1).select(F.col("i").alias("x"), F.col("j").alias("y"), "sim"), vec.search(v.spark, v.v1, v.v2, 1, "cosine").select(F.col("i").alias("x"), F.col("j").alias("y"), "sim"), 0.3).select("x", "y", r6(F.col("w"), "w")),
+       "with a as (select i,arg_max(j,sim) j,max(sim) sim from s group by i), w as (select i x,j y,0.7*sim+0.3*list_cosine_similarity(p.vec,q.vec) w from a join v1 p on p.id=i join v2 q on q.id=j) select x,y,round(w,6) w from w where w>0.3", "s")
+define("likelihood_matrix", lambda v: v.v1.select(F.col("id").alias("i")).withColumn("w", F.when(F.col("i") % 3 == 0, F.lit(1.0)).otherwise(1 / F.count(F.lit(1)).over(Window.partitionBy()))).select("i", r6(F.col("w"), "w")), "select id i,round(case when id%3=0 then 1.0 else 1/count(*) over () end,6) w from v1", "v1")
+MCD = "t as (select (select count(*) from v1) n,(select count(*) from v2) m), g as (select i,sum(sim) r from s group by i), c as (select j,sum(sim) c from s group by j), z as (select i,j,(sim-(r+c-sim)/(n+m-1))*(sim-(r+c-sim)/(n+m-1)) sim from s join g using(i) join c using(j),t)"
+
+
+@query("mcd_rerank", f"with {MCD} select i,round(max(sim),6) best from z group by i", "s")
+def mcd_rerank(v: Views) -> DataFrame:
+    """The greatest squared deviation of each row's similarities from what their row and column sums let expect.
+
+    The sums are products with the sum vectors, so the matrix is met once, in blocks, and never written.
+    """
+    total = lambda x: x.select(F.posexplode("vec").alias("p", "x")).groupBy("p").agg(F.sum("x").alias("m")).agg(F.sort_array(F.collect_list(F.struct("p", "m"))).alias("ms")).select(F.transform("ms", lambda y: y.m).alias("sv"))
+    n = v.v1.count() + v.v2.count() - 1
+    one = v.v1.join(F.broadcast(total(v.v2))).select("id", "vec", (-vec.dot("vec", "sv") / n).alias("bias"))
+    two = v.v2.join(F.broadcast(total(v.v1))).select("id", "vec", (-vec.dot("vec", "sv") / n).alias("bias"))
+    high = vec.search(v.spark, one, two, 1, "inner", 1 + 1 / n).select("i", "sim")
+    less = lambda x: x.select("id", "vec", (-F.col("bias")).alias("bias"))
+    low = vec.search(v.spark, less(one), less(two), 1, "inner", -(1 + 1 / n)).select("i", F.col("sim").alias("neg"))
+    return high.join(low, "i").select("i", r6(F.greatest(F.col("sim") * F.col("sim"), F.col("neg") * F.col("neg")), "best"))
+
+
+define("quartile_deviation", lambda v: vec.search(v.spark, v.v1, v.v2, 11).groupBy("i").agg(F.sum((F.col("j") % 2 == 0).cast("bigint")).alias("own")).agg((F.expr("percentile(own, 0.75)") - F.expr("percentile(own, 0.25)")).alias("deviation")), "with k as (select i,sum((j%2=0)::int) own from (select *,row_number() over (partition by i order by sim desc,j) k from s) where k<=11 group by i) select quantile_cont(own,0.75)-quantile_cont(own,0.25) deviation from k", "s")
+define("early_stopping", lambda v: v.table("events").groupBy(F.expr("event_id div 1000").alias("epoch")).agg(F.round(F.avg("value"), 6).alias("flag")).withColumn("a", F.lag("flag", 2).over(Window.orderBy("epoch"))).withColumn("b", F.lag("flag", 1).over(Window.orderBy("epoch"))).select("epoch", F.coalesce((F.col("flag") <= F.col("b")) & (F.col("b") <= F.col("a")), F.lit(False)).alias("stop")),
+       "with e as (select event_id//1000 epoch,round(avg(value),6) flag from events group by 1) select epoch,coalesce(flag<=lag(flag) over w and lag(flag) over w<=lag(flag,2) over w,false) stop from e window w as (order by epoch)")
+define("batch_slices", lambda v: v.place.groupBy("r").agg(F.count(F.lit(1)).alias("n")).withColumn("size", F.floor(F.lit(100) * F.col("n") / F.sum("n").over(Window.partitionBy())).cast("bigint")).select("r", "size"), "select r,floor(100*count(*)/sum(count(*)) over ())::bigint size from place group by r", "place")
+define("character_ids", lambda v: v.table("region").select("r_name", F.array_join(F.transform(F.slice(F.concat(F.split("r_name", ""), F.array_repeat(F.lit("#"), 12)), 1, 12), lambda x: F.when(x.between("A", "Z"), F.ascii(x) - 64).otherwise(0).cast("string")), ",").alias("ids")),
+       "select r_name,array_to_string(list_transform(list_concat(string_split(r_name,''),['#','#','#','#','#','#','#','#','#','#','#','#'])[1:12], lambda x: case when x between 'A' and 'Z' then (ascii(x)-64)::varchar else '0' end),',') ids from region")
+define("orthogonal_mapping_loss", lambda v: _gold(v).agg(r6(F.sum((1 - F.col("sim")) * 2), "loss")), "select round(sum((1-list_dot_product(a.vec,b.vec))*2),6) loss from v1 a join v2 b on a.id=b.id", "v1", "v2")
+define("softplus_scores", lambda v: _gold(v).select("i", r6(F.log1p(F.exp(-F.col("sim"))), "softplus"), r6(1 / (1 + F.exp(-F.col("sim"))), "sigmoid")), "select a.id i,round(ln(1+exp(-list_dot_product(a.vec,b.vec))),6) softplus,round(1/(1+exp(-list_dot_product(a.vec,b.vec))),6) sigmoid from v1 a join v2 b on a.id=b.id", "v1", "v2")
+
+
+@query("random_walks")
+def random_walks(v: Views) -> DataFrame:
+    """(start, step, e): walks of four steps from every nation and region over undirected edges, each step the neighbour of least -ln(u) / w, u from a hash."""
+    edges = t3.one_hop(v.place).select("a", "b")
+    walk = v.table("nation").select(v.key("n", "n_nationkey").alias("start")).select("start", F.lit(0).cast("bigint").alias("step"), F.col("start").alias("e"))
+    out = walk
+    for i in range(1, 5):
+        u = (F.conv(F.substring(F.md5(F.concat_ws("|", "start", F.lit(i), "b")), 1, 8), 16, 10).cast("double") + 1) / F.lit(2.0 ** 32 + 1)
+        step = walk.join(edges, walk.e == edges.a).withColumn("cost", -F.log(u)).groupBy("start").agg(F.min(F.struct("cost", "b")).alias("x"))
+        walk = step.select("start", F.lit(i).cast("bigint").alias("step"), F.col("x.b").alias("e"))
+        out = out.unionByName(walk)
+    return out
+
+
+@query("stream_links")
+def stream_links(v: Views) -> DataFrame:
+    """Names in arriving dump lines linked to the labels of graph 2, by a stream that reads what is there and ends."""
+    from kinloom.streaming.links import link_stream, read_lines, run_once
+
+    label = "http://www.w3.example/2000/01/rdf-schema#label"
+    keys = v.table("attr_triples_2").where(schema_term(F.col("r")) == label).select(record_name(F.col("h")).alias("entity"), literal_text(F.col("t")).alias("value")).where("entity is not null")
+    scratch = Scratch(v.spark, "stream")
+    arrived = scratch.write(v.table("parse_nq_or_nt").select("line", "loaded_at"))
+    return run_once(link_stream(read_lines(v.spark, arrived._scratch_path), keys, "http://schema.example/name"), f"{scratch.root}/out", f"{scratch.root}/state")
