@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 from kinloom.operators.skew import hot_keys, in_list, skew_join
 from kinloom.session import Scratch, is_empty
 
-BETA = 0.35
-ROUNDS = 8
+BETA = 0.4
+ROUNDS = 6
 SMALL_EDGES = 2_000
 SALTS = 32
+# Rounds in one plan: longer plans take the driver more memory than their writing takes time.
+PLANNED = 3
 
 
 def _start(v: str, level: int, beta: float, rounds: int):
@@ -34,7 +36,7 @@ def _start(v: str, level: int, beta: float, rounds: int):
     return F.greatest(F.lit(0.0), F.lit(float(rounds)) + F.log(u) / F.lit(beta))
 
 
-def _grow(edges: DataFrame, level: int, beta: float, rounds: int, hot: list) -> DataFrame:
+def _grow(scratch: Scratch, edges: DataFrame, level: int, beta: float, rounds: int, hot: list) -> DataFrame:
     """(v, c): the centre c whose cluster reaches v first; edges (a, b) are long ids, each once, a < b.
 
     A round refers to the state once, so that the plan grows with the rounds and no faster: each edge carries its sender's
@@ -44,7 +46,9 @@ def _grow(edges: DataFrame, level: int, beta: float, rounds: int, hot: list) ->
     salted = both.withColumn("s", F.when(in_list(F.col("a"), hot), F.pmod(F.xxhash64("b"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
     state = both.select(F.col("a").alias("v")).distinct().withColumn("at", F.struct(_start("v", level, beta, rounds).alias("t"), F.col("v").alias("c")))
     salts = F.when(in_list(F.col("v"), hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    for _ in range(rounds):
+    for k in range(rounds):
+        if k and k % PLANNED == 0:
+            state = scratch.write(state)
         sender = state.select(F.col("v").alias("a"), "at", F.explode(salts).alias("s"))
         later = F.struct((F.col("at.t") + 1).alias("t"), F.col("at.c").alias("c"))
         # a cluster that would arrive after the last possible start can't win, so it isn't sent
@@ -88,7 +92,7 @@ def decompose(spark: SparkSession, edges: DataFrame, scratch: Scratch, beta: flo
             break
         both = edges.select(F.explode(F.array("a", "b")).alias("a"))
         hot = hot_keys(both, "a")
-        clusters = scratch.write(_grow(edges, level, beta, rounds, hot))
+        clusters = scratch.write(_grow(scratch, edges, level, beta, rounds, hot))
         following = scratch.write(_contract(edges, clusters, hot))
         scratch.drop(edges)
         maps.append(clusters)

@@ -6,7 +6,7 @@
    than RARE pairs) links nothing alone, as one common attribute can't make a match; it links records that share a
    second common key with it, whatever the number of such records.
 3. Meta-blocking. A link stays if its weight is at least KEEP of the best of either end.
-4. Attribute score. Each kind of fact that both ends have speaks for the pair or against it (SCORES); contradicting dates,
+4. Attribute score. Each kind of fact that both ends have speaks for the pair or against it (`compared`); contradicting dates,
    lengths or version marks tell editions apart.
 5. Propagation. Makers are neighbours: a pair of makers is similar if its names are or if the other works that link the two
    are likely matches. Scores are updated until no decision changes.
