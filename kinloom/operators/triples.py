@@ -366,3 +366,23 @@ def negatives(triples: DataFrame, entities: DataFrame, per_triple: int, tries: i
     fresh = x.join(triples.select(F.col("h").alias("nh"), "r", F.col("t").alias("nt")).distinct(), ["nh", "r", "nt"], "left_anti")
     k = F.row_number().over(Window.partitionBy("h", "r", "t").orderBy("i"))
     return fresh.withColumn("k", k).where(F.col("k") <= per_triple).select("h", "r", "t", "nh", "nt")
+
+
+def chebyshev(adjacency: DataFrame, order: int, largest: float = 2.0) -> list[DataFrame]:
+    """(a, b, w) of the Chebyshev polynomials T0 to T``order`` of the rescaled Laplacian 2 / largest * (I - A') - I, where A'
+    is the symmetrically normalised adjacency without loops; ``largest`` is the greatest eigenvalue, at most 2."""
+    d = adjacency.groupBy("a").agg(F.sum("w").alias("d"))
+    eye = d.select("a", F.col("a").alias("b"), F.lit(1.0).alias("w"))
+    off = adjacency.join(d, "a").join(d.select(F.col("a").alias("b"), F.col("d").alias("db")), "b").select("a", "b", (-F.lit(2.0 / largest) * F.col("w") / F.sqrt("d") / F.sqrt("db")).alias("w"))
+    diagonal = 2.0 / largest - 1.0
+    lap = off if diagonal == 0 else off.unionByName(eye.withColumn("w", F.lit(diagonal)))
+    out = [eye, lap]
+    while len(out) <= order:
+        x = lap.select("a", F.col("b").alias("m"), "w").join(out[-1].select(F.col("a").alias("m"), "b", F.col("w").alias("v")), "m").select("a", "b", (2 * F.col("w") * F.col("v")).alias("w"))
+        out.append(x.unionByName(out[-2].withColumn("w", -F.col("w"))).groupBy("a", "b").agg(F.sum("w").alias("w")))
+    return out[:order + 1]
+
+
+def enriched(triples: DataFrame, labels: DataFrame) -> DataFrame:
+    """(uri, label): every name in the triples with its label (uri, label), null if it has none."""
+    return triples.select(F.explode(F.array("h", "r", "t")).alias("uri")).distinct().join(labels, "uri", "left")

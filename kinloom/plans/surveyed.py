@@ -12,6 +12,7 @@ from kinloom.operators import names
 from kinloom.operators import triples as t3
 from kinloom.operators import vectors as vec
 from kinloom.operators.linking import normalize_key
+from kinloom.operators.rejects import load_statements
 from kinloom.plans.views import Views, sql
 from kinloom.session import Scratch
 from kinloom.sources import files
@@ -451,3 +452,12 @@ def stream_links(v: Views) -> DataFrame:
     scratch = Scratch(v.spark, "stream")
     arrived = scratch.write(v.table("parse_nq_or_nt").select("line", "loaded_at"))
     return run_once(link_stream(read_lines(v.spark, arrived._scratch_path), keys, "http://schema.example/name"), f"{scratch.root}/out", f"{scratch.root}/state")
+
+
+define("chebyshev_2", lambda v: t3.chebyshev(t3.one_hop(v.place.where("h like 'n%'")).withColumn("w", F.lit(1.0)), 2)[2].select("a", "b", r6(F.col("w"), "w")),
+       "with n as (select h a,t b from place where h like 'n%' union select t,h from place where h like 'n%'), d as (select a,count(*) d from n group by a), l as (select n.a,n.b,-1/sqrt(x.d)/sqrt(y.d) w from n join d x on x.a=n.a join d y on y.a=n.b), u as (select p.a,q.b,2*p.w*q.w w from l p join l q on p.b=q.a union all select a,a,-1.0 from d) select a,b,round(sum(w),6) w from u group by 1,2", "place")
+define("label_enrichment", lambda v: t3.enriched(v.place, v.table("nation").select(v.key("n", "n_nationkey").alias("uri"), F.col("n_name").alias("label"))), "with u as (select h uri from place union select r from place union select t from place) select uri,n_name as label from u left join nation on uri=concat('n',n_nationkey)", "place")
+define("dump_extract", lambda v: load_statements(v.table("parse_nq_or_nt"), "line_id", "line").where("reason is null and g is not null and not (o rlike '\"@[A-Za-z-]+$')").select("line_id", "s", "p", "o"))
+define("clean_literals", lambda v: v.table("part").select("p_partkey", literal_text(F.concat(F.lit('"'), "p_name", F.lit('"@en'))).alias("v")), "select p_partkey,p_name v from part")
+define("negative_relations", lambda v: v.place.withColumn("d", F.conv(F.substring(F.md5(F.concat_ws("|", "h", "r", "t")), 1, 8), 16, 10).cast("bigint") % 2).select("h", F.when(F.col("d") == 0, "inNation").otherwise("inRegion").alias("nr"), "t", "r").where("nr <> r").select("h", "nr", "t").join(v.place.select("h", F.col("r").alias("nr"), "t"), ["h", "nr", "t"], "left_anti"),
+       "with x as (select h,r,t,case when ('0x'||substring(md5(concat(h,'|',r,'|',t)),1,8))::bigint%2=0 then 'inNation' else 'inRegion' end nr from place) select h,nr,t from x where nr<>r and not exists (select 1 from place p where p.h=x.h and p.r=x.nr and p.t=x.t)", "place")
