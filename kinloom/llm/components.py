@@ -36,7 +36,7 @@ def _start(v: str, level: int, beta: float, rounds: int):
     return F.greatest(F.lit(0.0), F.lit(float(rounds)) + F.log(u) / F.lit(beta))
 
 
-def _grow(scratch: Scratch, edges: DataFrame, level: int, beta: float, rounds: int, hot: list) -> DataFrame:
+def _grow(scratch: Scratch, edges: DataFrame, level: int, beta: float, rounds: int, hot: list, spent: list) -> DataFrame:
     """(v, c): the centre c whose cluster reaches v first; edges (a, b) are long ids, each once, a < b.
 
     A round refers to the state once, so that the plan grows with the rounds and no faster: each edge carries its sender's
@@ -49,6 +49,7 @@ def _grow(scratch: Scratch, edges: DataFrame, level: int, beta: float, rounds: i
     for k in range(rounds):
         if k and k % PLANNED == 0:
             state = scratch.write(state)
+            spent.append(state)
         sender = state.select(F.col("v").alias("a"), "at", F.explode(salts).alias("s"))
         later = F.struct((F.col("at.t") + 1).alias("t"), F.col("at.c").alias("c"))
         # a cluster that would arrive after the last possible start can't win, so it isn't sent
@@ -92,9 +93,10 @@ def decompose(spark: SparkSession, edges: DataFrame, scratch: Scratch, beta: flo
             break
         both = edges.select(F.explode(F.array("a", "b")).alias("a"))
         hot = hot_keys(both, "a")
-        clusters = scratch.write(_grow(scratch, edges, level, beta, rounds, hot))
+        spent: list = []
+        clusters = scratch.write(_grow(scratch, edges, level, beta, rounds, hot, spent))
         following = scratch.write(_contract(edges, clusters, hot))
-        scratch.drop(edges)
+        scratch.drop(edges, *spent)
         maps.append(clusters)
         edges, level = following, level + 1
     if not maps:
