@@ -64,13 +64,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_ROOTS: dict[str, list[str]] = {}
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes every scratch table of this application; to be called once its results are written elsewhere."""
+    for root in _ROOTS.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, root)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Scratch:
-    """Tables written to the shared folder to cut lineage: they outlive lost executors, and are dropped by path."""
+    """Tables written to the shared folder to cut lineage: they outlive lost executors, and are dropped by path, those of
+    results by drop_scratch."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
         self.count = 0
+        _ROOTS.setdefault(spark.sparkContext.applicationId, []).append(self.root)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.count += 1
@@ -81,11 +97,8 @@ class Scratch:
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(self.spark, df._scratch_path)
 
 
 def is_empty(df: DataFrame) -> bool:
