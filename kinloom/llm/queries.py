@@ -146,4 +146,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,
 }
 
-SQL: dict[str, str] = {}
+_NAMED = r"""with o as (select distinct dump_file,predicate,count n,written_at from write_prop_stats where predicate is not null and dump_file is not null),
+k as (select dump_file f,n,regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(predicate,'^[\s<]+',''),'[\s>]+$','')),'^https://','http://'),'/+$','') predicate from o),
+g as (select predicate,coalesce(sum(n) filter (n>=0),0)::bigint total,count(distinct f) n_files from k group by predicate),
+m as (select *,case when total<20 then 'rare' when n_files>0.75*(select count(distinct dump_file) from write_prop_stats) then 'common' end mark from g)"""
+
+SQL: dict[str, str] = {
+    "p7_stats": _NAMED + " select predicate,total,n_files,mark from m",
+    "p7_found": _NAMED + " select predicate,mark from m where mark is not null",
+}
