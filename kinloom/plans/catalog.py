@@ -61,10 +61,10 @@ def key_link_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = key_link_exact(spark, sf_dir)
     matched = links.select(linking.normalize_key("v1").alias("key")).distinct()
     return (keys.agg(F.count(F.lit(1)).alias("n_keys"))
-            .crossJoin(matched.agg(F.count(F.lit(1)).alias("n_matched")))
+            .join(F.broadcast(matched.agg(F.count(F.lit(1)).alias("n_matched"))))
             .withColumn("coverage", F.when(F.col("n_keys") > 0, F.col("n_matched") / F.col("n_keys")).otherwise(F.lit(0.0)))
-            .crossJoin(links.agg(F.count(F.lit(1)).alias("n_links")))
-            .crossJoin(links_to_ids(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_id_links"))))
+            .join(F.broadcast(links.agg(F.count(F.lit(1)).alias("n_links"))))
+            .join(F.broadcast(links_to_ids(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_id_links")))))
 
 
 def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
