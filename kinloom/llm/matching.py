@@ -198,6 +198,24 @@ def attribute_keys(profile: str, first: bool) -> set[str]:
     return out
 
 
+class _Bits(dict):
+    def __missing__(self, pair: str) -> int:
+        self[pair] = bit = 1 << len(self)
+        return bit
+
+
+_BITS = _Bits()
+
+
+@lru_cache(maxsize=100_000)
+def letter_pairs(text: str) -> tuple[int, int]:
+    """The letter pairs of a flat text, a bit for each, and their number."""
+    mask = 0
+    for i in range(len(text) - 1):
+        mask |= _BITS[text[i:i + 2]]
+    return mask, mask.bit_count()
+
+
 def alike(a: str, b: str) -> float:
     """Share of letter pairs two texts have in common, or of the shorter where one was cut."""
     if a == b:
@@ -205,10 +223,11 @@ def alike(a: str, b: str) -> float:
     if a.endswith("…") or b.endswith("…"):
         x, y = a.rstrip("…"), b.rstrip("…")
         return 0.9 if len(x) > 4 and len(y) > 4 and (x.startswith(y) or y.startswith(x)) else alike(x, y)
-    x, y = {a[i:i + 2] for i in range(len(a) - 1)}, {b[i:i + 2] for i in range(len(b) - 1)}
-    return 2 * len(x & y) / max(1, len(x) + len(y))
+    (x, m), (y, n) = letter_pairs(a), letter_pairs(b)
+    return 2 * (x & y).bit_count() / max(1, m + n)
 
 
+@lru_cache(maxsize=50_000)
 def maker_likeness(a: str, b: str) -> float:
     x, y = a.split(), b.split()
     if not x or not y:
@@ -220,6 +239,8 @@ def maker_likeness(a: str, b: str) -> float:
 
 
 def best(a: list[str], b: list[str], of) -> float | None:
+    if len(a) == 1 == len(b):
+        return of(a[0], b[0])
     return max((of(x, y) for x in a for y in b), default=None)
 
 
@@ -249,18 +270,30 @@ def dates(a: str, b: str) -> float:
 LENGTHS, PAGES, HEIGHTS, DEGREES = near((2, 2.0), (4, 1.0), (9e9, -2.0)), near((0, 2.0), (1, 1.0), (9e9, -2.0)), near((3, 1.5), (9e9, -1.5)), near((0.02, 1.5), (0.1, 0.5), (9e9, -2.5))
 
 
+SCORED = (("D", dates), ("U", LENGTHS), ("P", PAGES), ("E", HEIGHTS), ("X", DEGREES), ("Y", DEGREES))
+LIKE_NAMES, LIKE_MARKS = ((0.999, 3.0), (0.8, 2.4), (0.6, 1.6), (0.0, -3.0)), ((0.7, 0.5), (0.0, -2.5))
+WORDED = (("L", ((0.7, 1.5), (0.5, 0.5), (0.0, -1.5))), ("B", ((0.55, 0.5), (0.0, -0.7))), ("T", ((0.7, 1.0), (0.0, -1.0))))
+
+
+def attribute_score(a: dict[str, list[str]], b: dict[str, list[str]]) -> float:
+    """Score of a pair of opened profiles without its makers."""
+    s = steps(best(a["N"], b["N"], alike), *LIKE_NAMES) if "N" in a and "N" in b else 0.0
+    va, vb = ([v for v in p.get("V", ()) if v != "-"] for p in (a, b))
+    if va or vb:
+        s += steps(best(va, vb, alike) or 0.0, *LIKE_MARKS)
+    for k, of in SCORED:
+        if k in a and k in b:
+            s += best(a[k], b[k], of)
+    return s + sum((steps(best(a[k], b[k], alike), *levels) for k, levels in WORDED if k in a and k in b), 0.0)
+
+
 def compared(one: str, two: str) -> tuple[float, float | None]:
-    """Score of a pair without its makers, and the likeness of the makers' names (none if a side has none)."""
+    """Score of a pair without its makers, and the likeness of the makers' names (none if a side has none, or the score is below 0)."""
     a, b = opened(one), opened(two)
-    both = lambda k, of: best(a.get(k, []), b.get(k, []), of)
-    s = steps(both("N", alike), (0.999, 3.0), (0.8, 2.4), (0.6, 1.6), (0.0, -3.0))
-    va, vb = set(a.get("V", ())) - {"-"}, set(b.get("V", ())) - {"-"}
-    if va or vb:
-        s += steps(best(list(va), list(vb), alike) or 0.0, (0.7, 0.5), (0.0, -2.5))
-    for k, of in (("D", dates), ("U", LENGTHS), ("P", PAGES), ("E", HEIGHTS), ("X", DEGREES), ("Y", DEGREES)):
-        s += both(k, of) or 0.0
-    s += steps(both("L", alike), (0.7, 1.5), (0.5, 0.5), (0.0, -1.5)) + steps(both("B", alike), (0.55, 0.5), (0.0, -0.7)) + steps(both("T", alike), (0.7, 1.0), (0.0, -1.0))
-    names = lambda p: [c.split("@")[0] for c in p.get("C", ()) if c.split("@")[0]]
+    s = attribute_score(a, b)
+    if s < 0 or "C" not in a or "C" not in b:
+        return s, None
+    names = lambda p: [c.split("@")[0] for c in p["C"] if c.split("@")[0]]
     return s, best(names(a), names(b), maker_likeness)
 
 
